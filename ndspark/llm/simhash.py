@@ -238,7 +238,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return lookup(prints, named, ["fp"], "w", prints.count(), F.xxhash64("id"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """The rows of df of which each stands for a group of near-duplicates: those with the smallest identifier.
 
     Of rows that repeat it, one stays; rows with a null identifier stay if no other row is like them.
