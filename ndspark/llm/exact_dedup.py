@@ -39,7 +39,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         base = base.join(F.broadcast(heavy), "h", "left").withColumn("slice", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("id", F.lit(1)), "slices")).otherwise(F.lit(-1).cast("bigint"))).drop("slices")
     else:
         base = base.withColumn("slice", F.lit(-1).cast("bigint"))
-    keys = ["head", "h", "slice"]
+    # the window's keys hold the range's, so it needs no shuffle of its own; a constant among them would
+    keys = ["head", "h", *(["slice"] if hot else [])]
     dealt = base.withColumn("head", F.substring("norm", 1, prefix)).repartitionByRange(*keys)
     near = Window.partitionBy(*keys, "norm").orderBy(F.asc_nulls_last("id"))
     run = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
