@@ -72,6 +72,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
         return left.join(right.drop(weight), keys, "left")
     heads = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in payload], F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(heads), keys, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.pmod(spread, F.lit(SHARE * parts))).otherwise(F.lit(0).cast("bigint")))
-    cold = right.where(F.col(weight) <= limit).select(*keys, F.lit(0).cast("bigint").alias("_salt"), *payload)
+    # always 0, but no literal: the optimizer would take one out of the join's keys
+    none = (F.col(weight) > limit).cast("bigint").alias("_salt")
+    cold = right.where(F.col(weight) <= limit).select(*keys, none, *payload)
     joined = marked.join(cold, [*keys, "_salt"], "left")
     return joined.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload])
