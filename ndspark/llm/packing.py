@@ -175,7 +175,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     schema = "row bigint, piece int, length bigint, sequence bigint, offset bigint, pool bigint, open boolean"
     key, done = F.pmod(F.xxhash64("row", "piece"), F.lit(groups)), None
     for turn in range(rounds + 1):
-        packed = slim.withColumn("pool", (key + F.lit(turn) * (1 << 30)).cast("bigint")).groupBy("pool").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema)
+        packed = slim.withColumn("pool", (key + F.lit(turn << 30).cast("bigint")).cast("bigint")).groupBy("pool").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema)
         packed = materialize(packed)
         still = F.lit(False) if turn == rounds else F.col("open")
         settled = packed.where(~still).select("row", "piece", "sequence", "offset")
