@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -15,40 +15,49 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-BLANKS = re.compile(r"\s\s")
 _loaded: dict[str, "Encoder"] = {}
+#: How a byte-level BPE splits text before it merges. Fixed value of the format.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of() -> dict[str, int]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of a whole text, as tokenizers has them without special tokens, as little-endian unsigned 32-bit bytes.
 
-    A byte-level BPE never merges across the start of a run that a single blank opens, so a text
-    without two white-space characters in a row is the join of its blank-separated chunks, whose ids
-    are cached. Other texts go to the tokenizer whole.
+    A plain byte-level BPE whose ids are in the order of its merges is run by tiktoken over the same
+    vocabulary, which gives the same ids in a quarter of the time; any other file by tokenizers itself.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, first = spec["model"], spec.get("pre_tokenizer") or {}
+        self.fast = None
+        if model["type"] == "BPE" and not spec.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"):
+            special = {t["content"] for t in spec.get("added_tokens") or ()}
+            byte, vocab = byte_of(), model["vocab"]
+            pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+            merged = [vocab[a + b] for a, b in pairs]
+            if merged == sorted(merged):
+                import tiktoken
+
+                ranks = {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}
+                self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self.fast is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
+            self.slow.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
-        if not text or BLANKS.search(text) or text[0].isspace() or text[-1].isspace():
-            return self.encode([text])[0]
-        first, *rest = text.split(" ")
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        if new := [c for c in {*rest} if c not in known]:
-            known.update(zip(new, self.encode([f" {c}" for c in new])))
-        return self.encode([first])[0] + b"".join([known[c] for c in rest])
+        ids = self.fast.encode_ordinary(text) if self.fast else self.slow.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
