@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, materialize
 
 WORD = re.compile(r"\w+")
 #: Words count as features whole and by their first letters.
@@ -98,8 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
     some_p = known.where("positive").where(part < positives / p).select("id")
     some_u = rows.where(part < unlabelled / max(1, rows.count()))
-    sample = rows.join(some_p, "id").select("id", F.lit(True).alias("positive"), "text").unionByName(some_u.select("id", F.lit(False).alias("positive"), "text"))
-    found = sample.select("positive", "text").mapInArrow(doc_features, "feature string, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
+    # the sample is bounded by its two parameters: its identifiers can be broadcast and its texts kept
+    sample = rows.join(F.broadcast(some_p), "id").select("id", F.lit(True).alias("positive"), "text").unionByName(some_u.select("id", F.lit(False).alias("positive"), "text"))
+    sample = materialize(sample.select("positive", "text"))
+    found = sample.mapInArrow(doc_features, "feature string, p bigint, u bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least)
     sizes = sample.groupBy("positive").count().collect()
     size = {r.positive: float(r["count"]) for r in sizes}
     a, b = F.col("p") / size.get(True, 1.0), F.col("u") / size.get(False, 1.0)
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [sorted(at[f] for f in features(x.as_py()) & at.keys()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["positive", "at"])
 
-    table: pd.DataFrame = sample.select("positive", "text").mapInArrow(indexed, "positive boolean, at array<int>").toPandas()
+    table: pd.DataFrame = sample.mapInArrow(indexed, "positive boolean, at array<int>").toPandas()
     cols = np.concatenate([np.zeros(0, np.int64), *table["at"]]).astype(np.int64)
     row = np.repeat(np.arange(len(table)), table["at"].map(len))
     w, bias = fit(row, cols, table["positive"].to_numpy(bool), len(names), prior)
