@@ -77,3 +77,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     cold = right.where(F.col(weight) <= limit).select(*keys, none, *payload)
     joined = marked.join(cold, [*keys, "_salt"], "left")
     return joined.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. For loops that join their own results: a checkpoint keeps
+    size estimates, which such joins square until planning never ends; a table's size is known."""
+    folder = shared_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, materialize
+from .common import documents, lookup, materialize, stored
 
 BITS = 64
 #: The 64 bits are cut into BLOCKS runs; fingerprints within the budget agree on BLOCKS - budget of them.
@@ -137,9 +137,15 @@ def bucket_links(batches, bits: int, sides: bool):
 def rest_prefix(mask: int, depth: int):
     """The first `depth` bits that mask leaves out, as a column of fp."""
     free = [b for b in reversed(range(BITS)) if not mask >> b & 1][:depth]
-    out = F.lit(0).cast("bigint")
-    for i, b in enumerate(reversed(free)):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("bigint")), i))
+    out, runs = F.lit(0).cast("bigint"), []
+    for b in free:  # runs of neighbouring bits move together
+        if runs and runs[-1][0] == b + 1:
+            runs[-1] = (b, runs[-1][1] + 1)
+        else:
+            runs.append((b, 1))
+    for low, n in runs:
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(signed((1 << n) - 1)).cast("bigint"))
+        out = F.shiftleft(out, n).bitwiseOR(part)
     return out
 
 
@@ -203,16 +209,16 @@ def components(edges: DataFrame) -> DataFrame:
     one) until nothing changes; their number grows with the logarithm of the nodes. Hubs are dealt out.
     """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
-    edges = materialize(edges.distinct())
+    edges = stored(edges.distinct())
     now = mark(edges)
     while now[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("w")).where("w > 0"))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("w")).where("w > 0"))
         large = lookup(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), least, ["u"], "w", now[0], F.xxhash64("v")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")))
+        large = stored(large)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")))
         moved = lookup(large, least, ["a"], "w", large.count(), F.xxhash64("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         was, now = now, mark(edges)
         if was == now:
             break
