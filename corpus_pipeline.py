@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the first of them. Documents left without any word go, if lines were dropped."""
     found = line_dedup.line_dedup(docs.select(*COLUMNS))
-    kept = found.where((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\\x20\\x09-\\x0D]"))
+    kept = found.where((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
