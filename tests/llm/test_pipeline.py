@@ -1,9 +1,15 @@
-"""The corpus pipeline over the small tables: what each stage keeps, and the last one's rows."""
+"""The corpus pipeline over the small tables: each stage against brute force on its own input."""
+
+import collections
+import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from ndspark.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,11 +31,95 @@ def test_stages(spark, stages):
     for df in (lang, lines, near, mixed):
         assert df.columns == corpus_pipeline.COLUMNS
     assert lang.count() == total - duckdb.execute(f"SELECT count(*) FROM '{SF}/documents.parquet' WHERE NOT regexp_matches(coalesce(text, ''), '\\p{{L}}')").fetchall()[0][0]
-    assert lines.count() <= lang.count() and near.count() <= lines.count()
-    assert near.groupBy("text").count().where("count > 1").count() == 0
     assert mixed.groupBy("doc_id").count().where("count > 3").count() == 0
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
-    assert packed.where("piece = 0").count() == mixed.count()
+
+
+def lines_by_hand(docs: dict[int, str]) -> dict[int, str]:
+    keys = lambda text: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in text.split("\n")]
+    holders = collections.defaultdict(set)
+    for i, text in docs.items():
+        for k in keys(text):
+            if len(k) >= 10:
+                holders[k].add(i)
+    out = {}
+    for i, text in docs.items():
+        gone = [len(holders.get(k, ())) > 1 and min(holders[k]) != i for k in keys(text)]
+        left = "\n".join(x for x, g in zip(text.split("\n"), gone) if not g)
+        if not any(gone) or re.search(r"[^\x20\x09-\x0D]", left):
+            out[i] = left
+    return out
+
+
+def test_line_stage(spark, stages):
+    rows = {r.doc_id: r.text for r in stages[0].collect()}
+    got = {r.doc_id: r.text for r in stages[1].collect()}
+    assert got == lines_by_hand(rows)
+
+
+def test_line_stage_keeps_what_has_a_word(spark):
+    """What is left decides: any character that is no white space keeps the document, blanks alone don't."""
+    line = "a line that both of them hold"
+    texts = [(1, line), (2, f"{line}\n2000"), (3, f"{line}\nABC"), (4, f"{line}\n \t"), (5, line), (6, f"x\\\n{line}"), (7, "  "), (8, f"{line}\n9:;<=>?@[")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert got == {1: line, 2: "2000", 3: "ABC", 6: "x\\", 7: "  ", 8: "9:;<=>?@["} == lines_by_hand(dict(texts))
+
+
+def test_near_stage(stages):
+    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
+    prints = np.array([int.from_bytes(simhash.fingerprint(t.encode(), 3), "big") for _, t in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 3).tolist():
+            root[find(i)] = find(j)
+    least = collections.defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)].append(doc_id)
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(map(min, least.values()))
+
+
+def test_mix_stage(stages):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    have, took, longest = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in stages[2].collect():
+        have[r.source] += size(r.text)
+        longest[r.source] = max(longest[r.source], size(r.text))
+    for r in stages[3].collect():
+        took[r.source] += size(r.text)
+    order = sorted(have, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, free, left = {}, set(order), float(sum(have.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * have[s]}
+        for s in over or free:
+            goal[s] = 3.0 * have[s] if over else level * weight[s]
+            left -= goal[s] if over else 0
+        free -= over or free
+    for s in order:
+        assert abs(took[s] - goal[s]) <= longest[s]
+
+
+def test_pack_stage(stages):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for text, n in collections.Counter((r.doc_id, r.text) for r in stages[3].collect()).items():
+        ids = [*encode.encode(text[1], add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)] if len(ids) > 2048 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[(text[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += n
+    got = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4].collect())
+    assert got == want
 
 
 def test_run(spark, stages):
