@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import documents, lookup, materialize, stored
 
 BITS = 64
-#: The 64 bits are cut into BLOCKS runs; fingerprints within the budget agree on BLOCKS - budget of them.
+#: The 64 bits are cut into so many runs, or one more than the budget if that is more; fingerprints within
+#: the budget agree on all runs but as many as the budget.
 BLOCKS = 5
 
 
@@ -43,10 +44,11 @@ def fingerprints(batches, shingle: int):
 
 
 def masks(bits: int) -> list[int]:
-    """One mask for each choice of BLOCKS - bits blocks."""
-    edges = [i * BITS // BLOCKS for i in range(BLOCKS + 1)]
-    block = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(BLOCKS)]
-    return [sum(x) for x in combinations(block, max(1, BLOCKS - bits))]
+    """One mask for each choice of blocks that fingerprints within `bits` bits can agree on."""
+    blocks = max(BLOCKS, bits + 1)
+    edges = [i * BITS // blocks for i in range(blocks + 1)]
+    block = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    return [sum(x) for x in combinations(block, blocks - bits)]
 
 
 def trie_links(prints: np.ndarray, ids: np.ndarray, bits: int, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +158,8 @@ def signed(x: int) -> int:
 def links(reps: DataFrame, bits: int, most: int = 2048, step: int = 8) -> DataFrame:
     """fp, rep (one row a fingerprint) -> a, b: enough links for the components.
 
-    Fingerprints within `bits` bits agree on at least BLOCKS - bits blocks, so each joins one bucket for
-    each choice of those, and buckets are the subtries where the traversal starts. A bucket with more
+    Fingerprints within `bits` bits agree on all blocks but `bits`, so each joins one bucket for
+    each choice of the others (see masks), and buckets are the subtries where the traversal starts. A bucket with more
     than `most` fingerprints is traversed across tasks: its node pairs at the next `step` bits
     that exist on both sides and are within the budget become groups of their own, again and again until
     all are small.

@@ -216,14 +216,24 @@ def test_trie_join(centres, per, flips):
     assert got == want
 
 
-@pytest.mark.parametrize("most", [4, 30, 2048])
-def test_links_and_components_over_tasks(spark, most):
-    prints = near_prints(np.random.default_rng(7), 12, 60, 4)
+def test_masks_hold_a_choice_for_every_difference():
+    rnd = np.random.default_rng(3)
+    for bits in (0, 1, 3, 4, 5, 9):
+        masks = simhash.masks(bits)
+        for _ in range(300):
+            change = sum(1 << int(b) for b in set(rnd.integers(0, 64, bits).tolist()))
+            assert any(not m & change for m in masks)
+    assert len(simhash.masks(3)) == 10
+
+
+@pytest.mark.parametrize("most,bits", [(4, 3), (30, 3), (2048, 3), (30, 0), (30, 6)])
+def test_links_and_components_over_tasks(spark, most, bits):
+    prints = near_prints(np.random.default_rng(7), 12, 60 if bits == 3 else 15, bits + 1)
     ids = np.random.default_rng(8).permutation(len(prints)) + 100
     rows = [(simhash.signed(int(p)), int(i)) for p, i in zip(prints, ids)]
     reps = spark.createDataFrame(rows, "fp bigint, rep bigint")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(reps, 3, most)).collect()}
-    classes = brute_components(prints)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(reps, bits, most)).collect()}
+    classes = brute_components(prints, bits)
     low = {}
     for c, i in zip(classes, ids.tolist()):
         low[c] = min(low.get(c, i), i)
