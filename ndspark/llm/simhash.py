@@ -249,12 +249,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """The rows of df of which each stands for a group of near-duplicates: those with the smallest identifier.
 
-    Of rows that repeat it, one stays; rows with a null identifier stay if no other row is like them.
+    Rows are linked by their own numbers, so one row of each group stays whatever the identifiers: rows
+    that share one, or have none, but hold different texts all stay. Null identifiers come last.
     """
-    found = simhash_components(df, id_col, text_col, shingle, bits)
-    heads = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_head")).distinct()
-    kept = df.join(heads, df[id_col].eqNullSafe(F.col("_head")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    found = simhash_components(rows, "_row", text_col, shingle, bits).select(F.col("id").alias("_row"), F.col("component").alias("_component"))
+    ranked = found.join(rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), "_row").alias("_rank")), "_row")
+    heads = ranked.groupBy("_component").agg(F.min("_rank").alias("_rank")).select("_rank._row")
+    return rows.join(heads, "_row", "left_semi").drop("_row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

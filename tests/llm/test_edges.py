@@ -141,6 +141,14 @@ def test_simhash(docs, empty):
     assert len(kept) == len({str(r.component) for r in got})
 
 
+def test_near_dedup_keeps_every_text(spark):
+    """Rows without an identifier, or that share one, are rows of their own: only near copies go."""
+    texts = [(None, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(6)]
+    rows = [*texts, (None, texts[0][1]), (7, texts[1][1]), (8, texts[2][1]), (8, "another " * 3 + "text of eight")]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [texts[0], *texts[3:6], *rows[7:]])
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0)], "doc_id bigint, toxic int")
     for model in (toxicity.train(docs, labels), toxicity.train(docs, labels.limit(0)), toxicity.train(empty, labels)):
