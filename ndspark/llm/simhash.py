@@ -246,16 +246,23 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return lookup(prints, named, ["fp"], "w", prints.count(), F.xxhash64("id"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df of which each stands for a group of near-duplicates: those with the smallest identifier.
 
+    Linked are rows whose fingerprints are within `bits` bits, and rows whose sets of shingles of `words`
+    words have a Jaccard similarity of `least` or more.
+
     Rows are linked by their own numbers, so one row of each group stays whatever the identifiers: rows
     that share one, or have none, but hold different texts all stay. Null identifiers come last.
     """
+    from .minhash import jaccard_links  # it needs components() from here
+
     rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
-    found = simhash_components(rows, "_row", text_col, shingle, bits).select(F.col("id").alias("_row"), F.col("component").alias("_component"))
-    ranked = found.join(rows.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), "_row").alias("_rank")), "_row")
-    heads = ranked.groupBy("_component").agg(F.min("_rank").alias("_rank")).select("_rank._row")
+    alike = simhash_components(rows, "_row", text_col, shingle, bits).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    roots = components(alike.unionByName(jaccard_links(rows, "_row", text_col, words, least)))
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), "_row").alias("_rank")
+    ranked = rows.select("_row", rank).join(roots.select(F.col("node").alias("_row"), "root"), "_row", "left")
+    heads = ranked.groupBy(F.coalesce("root", "_row").alias("_component")).agg(F.min("_rank").alias("_rank")).select("_rank._row")
     return rows.join(heads, "_row", "left_semi").drop("_row")
 
 

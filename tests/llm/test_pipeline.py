@@ -1,6 +1,7 @@
 """The corpus pipeline over the small tables: each stage against brute force on its own input."""
 
 import collections
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ndspark.llm import simhash
+from ndspark.llm import minhash, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,6 +86,53 @@ def test_near_stage(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(map(min, least.values()))
 
 
+def near_texts():
+    """A chain of texts each 0.8 or more like the one before, pairs on both sides of 0.8, and many of one kind."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    out = []
+    for n in (12, 60, 300, 1500):
+        base = [word() for _ in range(n)]
+        for share in (0.0, 0.02, 0.06, 0.1, 0.11, 0.12, 0.15, 0.3):
+            out.append(base[: n - round(n * share)] + [word() for _ in range(round(n * share))])
+    chain = [word() for _ in range(100)]
+    for _ in range(8):
+        chain = chain[9:] + [word() for _ in range(9)]
+        out.append(chain)
+    kind = [word() for _ in range(80)]
+    out += [[word() if k == i % 80 else x for k, x in enumerate(kind)] for i in range(150)]
+    return [" ".join(x) for x in out]
+
+
+def by_jaccard(texts):
+    """The smallest member of each text's class, by all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if label[i] != label[j] and 10 * len(x & y) >= 8 * len(x | y):
+                p, q = max(label[i], label[j]), min(label[i], label[j])
+                label = [q if k == p else k for k in label]
+    return label
+
+
+def test_near_stage_links_five_words_at_0_8(spark):
+    texts = near_texts()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    want = by_jaccard(texts)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == sorted(set(want)) and 10 < len(got) < 40
+
+
+def test_jaccard_links_in_slices(spark):
+    """A group that is cut into slices has the links of the whole."""
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(5)
+    links = minhash.jaccard_links(docs, "row", "text", texts=20)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == by_jaccard(texts)
+
+
 def test_mix_stage(stages):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     have, took, longest = collections.Counter(), collections.Counter(), collections.Counter()
