@@ -71,16 +71,16 @@ def find_by_path(nodes: DataFrame, root: int, path: str) -> DataFrame:
     return nodes.join(at, F.col("node_id") == F.col("at")).drop("at")
 
 
-def with_paths(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """node_id, path of every node below the root, by a recursive query (at most `levels` deep)."""
+def with_paths(nodes: DataFrame, levels: int = 10_000) -> DataFrame:
+    """node_id, path of every node below the root, by a recursive query. It fails on a tree of more than `levels` levels, and leaves nothing out."""
     nodes.createOrReplaceTempView("_ndspark_nodes")
     return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(node_id, path, depth) AS (
-          SELECT node_id, CAST('' AS STRING), 0 FROM _ndspark_nodes WHERE parent_id IS NULL
+        WITH RECURSIVE walk(node_id, path) MAX RECURSION LEVEL {levels} AS (
+          SELECT node_id, CAST('' AS STRING) FROM _ndspark_nodes WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.node_id, concat(w.path, '/', n.name), w.depth + 1
+          SELECT n.node_id, concat(w.path, '/', n.name)
           FROM walk w JOIN _ndspark_nodes n ON n.parent_id = w.node_id
-          WHERE n.name <> '' AND w.depth < {levels}
+          WHERE n.name <> ''
         ) SELECT node_id, path FROM walk WHERE path <> ''
     """)
 
