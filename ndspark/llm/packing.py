@@ -27,10 +27,11 @@ def byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a whole text, as tokenizers has them without special tokens, as little-endian unsigned 32-bit bytes.
+    """Token ids of a whole text, as tokenizers has them with add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
     A plain byte-level BPE whose ids are in the order of its merges is run by tiktoken over the same
     vocabulary, which gives the same ids in a quarter of the time; any other file by tokenizers itself.
+    An added token in a text is that token's id, as tokenizers has it: the text is cut there first.
     """
 
     def __init__(self, path: str):
@@ -40,23 +41,23 @@ class Encoder:
         model, first = spec["model"], spec.get("pre_tokenizer") or {}
         self.fast = None
         if model["type"] == "BPE" and not spec.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"):
-            special = {t["content"] for t in spec.get("added_tokens") or ()}
+            added = spec.get("added_tokens") or ()
+            special = {t["content"]: t["id"] for t in added}
             byte, vocab = byte_of(), model["vocab"]
             pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             merged = [vocab[a + b] for a, b in pairs]
-            if merged == sorted(merged):
+            if merged == sorted(merged) and not any(t[x] for t in added for x in ("lstrip", "rstrip", "single_word")):
                 import tiktoken
 
                 ranks = {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}
-                self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+                self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         if self.fast is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(path)
-            self.slow.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.slow.encode(text, add_special_tokens=False).ids
+        ids = self.fast.encode(text, allowed_special="all") if self.fast else self.slow.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
@@ -161,13 +162,15 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, capacity: int, path: st
     return rows.mapInArrow(lambda it: pieces(it, path, capacity), f"row bigint, id {kind}, piece int, start bigint, length bigint, crc bigint")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, group: int = 4096, rounds: int = 3, fan_in: int = 8) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, group: int = 4096, fan_in: int = 8) -> DataFrame:
     """Pieces of all rows with sequence and offset: row, id, piece, start, length, crc, sequence, offset.
 
     Whole-capacity pieces are sequences of their own. The others are dealt by hash into groups of about
     `group`; each is packed by best-fit decreasing, and a lower bound from dual-feasible functions
     certifies its count. Groups with a gap put their emptiest sequences into pools of `fan_in`
-    groups, `rounds` times, which are repacked; what is certified or not offered stays.
+    groups, which are repacked, and so on until every pool is certified or one is left; what is
+    certified or not offered stays. Pools shrink in number by `fan_in` a round and hold at most an
+    eighth of the sequences of each of `fan_in` groups, so none outgrows a group.
 
     Null text counts as empty (one piece: id 0). Null identifiers and repeated rows are documents
     of their own. An empty table gives no row. Other columns of the input are not read. `row`
@@ -182,18 +185,17 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     slim = every.where(~full).select("row", "piece", "length", F.lit(-1).cast("bigint").alias("sequence"), F.lit(0).cast("bigint").alias("offset"))
     groups = max(1, -(-slim.count() // group))
     schema = "row bigint, piece int, length bigint, sequence bigint, offset bigint, pool bigint, open boolean"
-    key, done = F.pmod(F.xxhash64("row", "piece"), F.lit(groups)), None
-    for turn in range(rounds + 1):
+    key, done, turn = F.pmod(F.xxhash64("row", "piece"), F.lit(groups)), None, 0
+    while True:
         packed = slim.withColumn("pool", (key + F.lit(turn << 30).cast("bigint")).cast("bigint")).groupBy("pool").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema)
         packed = materialize(packed)
-        still = F.lit(False) if turn == rounds else F.col("open")
+        still = F.lit(False) if groups == 1 else F.col("open")
         settled = packed.where(~still).select("row", "piece", "sequence", "offset")
         done = settled if done is None else done.unionByName(settled)
         slim = packed.where(still).select("row", "piece", "length", "sequence", "offset", "pool")
-        if groups == 1 or turn == rounds or slim.isEmpty():
-            done = done.unionByName(slim.select("row", "piece", "sequence", "offset")) if turn < rounds else done
+        if groups == 1 or slim.isEmpty():
             break
-        groups = -(-groups // fan_in)
+        groups, turn = -(-groups // fan_in), turn + 1
         key = F.floor(F.pmod(F.col("pool"), F.lit(1 << 30)) / fan_in).cast("bigint")
     alone = every.where(full).withColumn("sequence", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     return every.where(~full).join(done, ["row", "piece"]).select(*every.columns, "sequence", "offset").unionByName(alone)

@@ -72,14 +72,36 @@ def test_ids_are_those_of_tokenizers(texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     ours, theirs = packing.Encoder(path), Tokenizer.from_file(path)
-    theirs.encode_special_tokens = True
+    assert ours("<|endoftext|>") == np.array([50256], "<u4").tobytes()
     assert ours.fast is not None
     rnd = random.Random(1)
     odd = ["".join(rnd.choice("abc AB  \n\t\r12.,'sé漢😀<|endoftext|>\0\x1c ") for _ in range(rnd.randrange(60))) for _ in range(500)]
-    for text in [*list(texts.values())[::20], *odd, "", "a" * 5000]:
+    marked = ["".join(rnd.choice(["<|endoftext|>", "<|endof", "text|>", " ", "a", "\n", "<|endoftext|>x"]) for _ in range(rnd.randrange(9))) for _ in range(500)]
+    for text in [*list(texts.values())[::20], *odd, *marked, "", "a" * 5000]:
         assert ours(text) == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    word = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert word.fast is None and word("Some words")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    word, theirs = packing.Encoder(path), Tokenizer.from_file(path)
+    for text in ("Some words", "<|startoftext|>so<|endoftext|>", *odd[:50]):
+        assert word.fast is None and word(text) == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_query_by_hand(spark, texts):
+    """Every piece of every document as the contract says, from an unmodified tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_edges import check_sequences
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, text in texts.items():
+        ids = [*theirs.encode(text or "", add_special_tokens=False).ids, 0]
+        n = len(ids)
+        cuts = [0, *range(n % 2048 or 2048, n, 2048), n] if n > 2048 else [0, n]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = queries.QUERIES["op4_packing"](spark, SF).withColumnsRenamed({"sequence_id": "sequence"}).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    check_sequences(got)
 
 
 def test_lower_bound_and_best_fit():
