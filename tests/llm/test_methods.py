@@ -60,9 +60,50 @@ def test_every_signature_is_found_and_carved(spark):
     df = spark.createDataFrame([(1, bytearray(media.wav(b"ab" + png() + b"c"))), (2, None)], "id bigint, media binary")
     (row,) = media.carve(df).collect()
     assert (row.type, bytes(row.content)) == ("image/png", png())
+    assert media.sniff(pdf + b" 2 0 obj startxref 9 %%EOF" + pdf)[0][2] == len(pdf) + 26  # saved twice
+    assert media.sniff(gzip.compress(b"abc") + gzip.compress(b"d") + b"x") == [("application/gzip", 0, len(gzip.compress(b"abc") + gzip.compress(b"d")))]
     assert media.sniff(b"RIFF BM GIF89a %PDF-x PK\3\4 OggS\0 \xff\xd8\xff \x1f\x8b\x08") == []
 
 
+def test_many_signatures_take_linear_time():
+    """A megabyte of each signature, and of marks that promise an end far away."""
+    import time
+
+    for unit in (b"%PDF-1.4 ", b"%PDF-1.4 startxref ", b"PK\3\4 ", b"PK\5\6 ", b"\x1f\x8b\x08\x08name", b"\x1f\x8b\x08\0", b"\xff\xd8\xff\xda\0\2ab", b"GIF89a", b"OggS\0\2", b"BM", b"RIFF\xff\xff\0\0WAVE", b"\x89PNG\r\n\x1a\n"):
+        began = time.process_time()
+        media.sniff(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 15, unit
+
+
+def test_media_query_by_hand(spark, texts):
+    """The contract's columns from the texts alone, and the method's: types corrected, covers found and read back."""
+    import hashlib
+
+    kinds, wrong, inside = set(), 0, 0
+    got = {r.doc_id: r for r in queries.QUERIES["op2_media"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        data, r = (text or "").encode(), got[i]
+        pay = data + bytes(-len(data) % 64 if data else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        file, declared = media.store(data)
+        assert (r.media_bytes, r.media_sha256, r.declared, r.corrected) == (len(file), hashlib.sha256(file).hexdigest(), declared, declared != r.type)
+        cover = media.png(pay[:64], 8) if r.type == "audio/wav" else None
+        if cover:
+            assert r.embedded >= 1 and r.embedded_sha256 == hashlib.sha256(cover).hexdigest()
+        kinds.add(r.type)
+        wrong, inside = wrong + r.corrected, inside + r.embedded
+    assert kinds == {"audio/wav", "image/png", "image/bmp"} and 0 < wrong < len(got) and inside
+
+
+def test_samples_come_back_from_every_format():
+    rnd = np.random.default_rng(3)
+    for n in (64, 128, 64 * 300):
+        pay = rnd.integers(0, 256, n).astype(np.uint8).tobytes()
+        for file, kind in ((media.wav(pay, b"xyz"), "audio/wav"), (media.png(pay, 64), "image/png"), (media.bmp(pay, 64), "image/bmp")):
+            assert media.sniffed_type(file, "image/gif")[0] == kind and media.samples(file, kind) == pay
+
+
 # packing
 
 
