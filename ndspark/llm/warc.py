@@ -5,9 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_folder, lookup, materialize, shared_folder, whole
@@ -18,70 +19,96 @@ END = CRLF * 2
 URN = "urn:ndspark:page:"
 
 
-def size_of(text: Column) -> Column:
-    return F.octet_length(text).cast("bigint")
+def urn_of(ident, digest: str) -> str:
+    """A record's identifier: the page's, escaped so that any text comes back, and the payload's digest."""
+    return f"<{URN}{'null' if ident is None else '=' + quote(str(ident), safe='')}:{digest}>"
 
 
-def record(kind: Column, headers: list[tuple[str, Column | None]], block: Column) -> Column:
-    """One record without its end, as text; headers that are null are left out."""
-    lines = [F.concat(F.lit("WARC-Type: "), kind)]
-    lines += [F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in headers]
-    lines.append(F.concat(F.lit("Content-Length: "), size_of(block).cast("string")))
-    return F.concat(F.lit(f"WARC/1.1{CRLF}"), F.concat_ws(CRLF, *lines), F.lit(END), block)
+def page_of(urn: str | None) -> str | None:
+    """The page's identifier in one of our record identifiers, null for a page without one; of other archives the part before a colon."""
+    if not urn:
+        return None
+    page = urn.strip("<>").removeprefix(URN).split(":")[0]
+    return unquote(page[1:]) if page.startswith("=") else None if page == "null" else page
 
 
-def chunked(text: Column, chars: int) -> Column:
+def chunked(text: str, chars: int) -> str:
     """HTTP chunked framing of the text, in chunks of at most `chars` characters."""
-    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / chars).cast("int"))
-    parts = F.filter(F.transform(starts, lambda i: F.substring(text, i * chars + 1, F.lit(chars))), lambda p: p != "")
-    return F.concat(F.array_join(F.transform(parts, lambda p: F.concat(F.hex(F.octet_length(p)), F.lit(CRLF), p, F.lit(CRLF))), ""), F.lit(f"0{END}"))
+    parts = [text[i : i + chars] for i in range(0, len(text), chars)]
+    return "".join([x for p in parts for x in (f"{len(p.encode()):X}", CRLF, p, CRLF)] + [f"0{END}"])
+
+
+def record(kind: str, headers: list[tuple[str, object]], block: str) -> str:
+    """One record without its end, as text; headers that are null are left out."""
+    lines = [f"WARC/1.1{CRLF}WARC-Type: {kind}", *[f"{name}: {value}" for name, value in headers if value is not None]]
+    return f"{CRLF.join(lines)}{CRLF}Content-Length: {len(block.encode())}{END}{block}"
+
+
+def page_records(ident, url: str, text: str, first, revisit: bool, chunk: int, segment: int):
+    """The records of one page, one at a time; what is written is cut once, so a long page takes time in proportion."""
+    payload = text.encode()
+    digest = hashlib.sha1(payload).hexdigest()
+    head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
+    block = f"{head}Content-Length: {len(payload)}{END}" if revisit else f"{head}Transfer-Encoding: chunked{END}{chunked(text, chunk)}"
+    own, total, of = urn_of(ident, digest), len(block.encode()), -(-len(block) // segment)
+    for k in range(of):
+        start, last = k == 0, k == of - 1
+        yield record(
+            "continuation" if not start else "revisit" if revisit else "response",
+            [
+                ("WARC-Record-ID", own if start else f"{own[:-1]}:{k}>"),
+                ("WARC-Date", "2024-01-01T00:00:00Z"),
+                ("WARC-Target-URI", url or None),
+                ("WARC-Payload-Digest", f"sha1:{digest}" if start else None),
+                ("WARC-Refers-To", urn_of(first, digest) if start and revisit else None),
+                ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if start and revisit else None),
+                ("WARC-Segment-Number", k + 1 if of > 1 else None),
+                ("WARC-Segment-Origin-ID", None if start else own),
+                ("WARC-Segment-Total-Length", total if of > 1 and last else None),
+                ("Content-Type", "application/http; msgtype=response" if start else None),
+            ],
+            block[k * segment : (k + 1) * segment],
+        )
+
+
+def written(batches, chunk: int, segment: int):
+    """(id, url, text, first, revisit) -> value: a row each record, a few megabytes at a time."""
+    for batch in batches:
+        out, held = [], 0
+        for ident, url, text, first, revisit in zip(*[c for c in batch.columns]):
+            for value in page_records(ident.as_py(), url.as_py(), text.as_py(), first.as_py(), revisit.as_py(), chunk, segment):
+                out.append(value)
+                held += len(value)
+                if held > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", text_col: str = "html", least: int = 1000, chunk: int = 16_384, segment: int = 65_536) -> None:
-    """Write a record for each row of df to gzipped WARC files under `folder`.
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url", text_col: str = "html", least: int = 1000, chunk: int = 16_384, segment: int = 65_536, per_file: int = 2048, few: int = 50_000) -> None:
+    """Write a record for each row of df to gzipped WARC files of at most `per_file` records under `folder`.
 
     Of rows with equal payloads of at least `least` bytes (by SHA-256), the one with the largest
     identifier is a response and the others revisit it; rows that repeat that identifier are
     responses too. A response's HTTP body is chunked; blocks over `segment` characters become continuation
     records. Null text is an empty payload. Rows with a null identifier are responses, and others
-    never revisit them. An empty table gives archives without records.
+    never revisit them. Identifiers may be any text. An empty table gives archives without records.
+    Up to `few` repeated payloads are broadcast, 32 bytes and an identifier each; with more, pages
+    move by digest, frequent ones dealt out.
     """
     text = whole(text_col)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit("")) if url_col else F.lit("")
-    rows = df.select(F.col(id_col).alias("id"), F.regexp_replace(url, r"[\x00-\x20]", "").alias("url"), text.alias("text"), size_of(text).alias("n"), F.sha2(text, 256).alias("digest"))
+    rows = df.select(F.col(id_col).alias("id"), F.regexp_replace(url, r"[\x00-\x20]", "").alias("url"), text.alias("text"), F.octet_length(text).alias("n"), F.unhex(F.sha2(text, 256)).alias("digest"))
     many = rows.where((F.col("n") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("w")).where("w > 1")
     many = materialize(many)
-    total = df.count()
-    # few repeated payloads are sent to all tasks; beyond that count, pages move by digest, frequent ones dealt out
-    if (repeated := many.count()) <= 50_000:
+    if (repeated := many.count()) <= few:
         rows = rows.join(F.broadcast(many.drop("w")), "digest", "left") if repeated else rows.withColumn("first", F.lit(None).cast(df.schema[id_col].dataType))
     else:
-        rows = lookup(rows, many, ["digest"], "w", total, F.xxhash64("id"))
+        rows = lookup(rows, many, ["digest"], "w", df.count(), F.xxhash64("id"))
     revisit = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("first") != F.col("id"))
-    name = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), F.col("sha1"), F.lit(">"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), F.when(revisit, F.concat(F.lit("Content-Length: "), F.col("n").cast("string"))).otherwise("Transfer-Encoding: chunked"), F.lit(END))
-    rows = rows.select("*", F.when(revisit, http).otherwise(F.concat(http, chunked(F.col("text"), chunk))).alias("block"), revisit.alias("revisit"), F.sha1("text").alias("sha1")).drop("text")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("block") - 1, F.lit(0)) / segment).cast("int")), lambda i: F.substring("block", i * segment + 1, F.lit(segment)))
-    rows = rows.withColumn("total", size_of(F.col("block"))).select("id", "url", "n", "first", "revisit", "sha1", "total", F.size(pieces).alias("of"), F.posexplode(pieces).alias("k", "part"))
-    head, last, own = F.col("k") == 0, F.col("k") == F.col("of") - 1, name("id")
-    text = record(
-        F.when(~head, "continuation").when(F.col("revisit"), "revisit").otherwise("response"),
-        [
-            ("WARC-Record-ID", F.when(head, own).otherwise(F.concat(F.rtrim(own, F.lit(">")), F.lit(":"), F.col("k").cast("string"), F.lit(">")))),
-            ("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-            ("WARC-Target-URI", F.when(F.col("url") != "", F.col("url"))),
-            ("WARC-Payload-Digest", F.when(head, F.concat(F.lit("sha1:"), F.col("sha1")))),
-            ("WARC-Refers-To", F.when(head & F.col("revisit"), name("first"))),
-            ("WARC-Profile", F.when(head & F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("WARC-Segment-Number", F.when(F.col("of") > 1, F.col("k") + 1)),
-            ("WARC-Segment-Origin-ID", F.when(~head, own)),
-            ("WARC-Segment-Total-Length", F.when((F.col("of") > 1) & last, F.col("total"))),
-            ("Content-Type", F.when(head, F.lit("application/http; msgtype=response"))),
-        ],
-        F.col("part"),
-    )
-    out = rows.select(text.alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", 4096).text(folder)
+    name = lambda c: F.col(c).cast("string").alias(c)
+    out = rows.select(name("id"), "url", "text", name("first"), revisit.alias("revisit")).mapInArrow(lambda it: written(it, chunk, segment), "value string")
+    out.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def records(stream):
@@ -135,10 +162,6 @@ def payload_row(row: dict) -> dict:
     return row
 
 
-def page_of(urn: str | None) -> str | None:
-    return urn.strip("<>").removeprefix(URN).split(":")[0] if urn else None
-
-
 def parse(batches, schema):
     """Rows (path, content) of archives -> rows of FIELDS. Records in one segment are decoded at once."""
     for batch in batches:
@@ -171,9 +194,15 @@ def parse(batches, schema):
 
 
 def decode(batches, schema):
-    """Rows of FIELDS whose blocks were put together again."""
+    """(origin, s, total, ...) -> rows of FIELDS: the segments joined in order, and decoded if they are whole."""
     for batch in batches:
-        yield pa.RecordBatch.from_pylist([r if r["problem"] else payload_row(r) for r in batch.to_pylist()], schema)
+        for i in range(len(batch)):  # one page at a time: its segments are all that is held
+            row = batch.slice(i, 1).to_pylist()[0]
+            blocks = [x["block"] for x in row.pop("s")]
+            whole_ = row["segments"] == len(blocks) and row["total"] == sum(map(len, blocks))
+            row |= {"block": b"".join(blocks) if whole_ else None, "problem": None if whole_ else "the segments don't add up to the total length"}
+            del row["segments"]
+            yield pa.RecordBatch.from_pylist([payload_row(row) if whole_ else row], schema)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,12 +220,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     whole_ = parsed.where("segment IS NULL")
     parts = parsed.where("segment IS NOT NULL").dropDuplicates(["origin", "segment"])
     joined = parts.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"))
-    block = F.aggregate(F.col("s.block"), F.lit(b""), lambda a, b: F.concat(a, b))
-    gap = (F.element_at("s", -1)["segment"] != F.size("s")) | F.col("total").isNull() | (F.octet_length("block") != F.col("total"))
-    joined = joined.withColumn("block", block).select("origin", "block", F.when(gap, "the segments don't add up to the total length").alias("problem"))
-    heads = parsed.where("segment = 1").drop("block", "problem")
-    again = heads.join(joined, "origin").select(*[x.split()[0] for x in FIELDS.split(", ")])
-    again = again.mapInArrow(lambda it: decode(it, schema), FIELDS)
+    joined = joined.select("origin", "s", "total", F.element_at("s", -1)["segment"].alias("segments"))
+    heads = parsed.where("segment = 1").select(*[x.split()[0] for x in FIELDS.split(", ") if x.split()[0] not in ("block", "problem", "total")])
+    again = heads.join(joined, "origin").mapInArrow(lambda it: decode(it, schema), FIELDS)
     return whole_.unionByName(again).select("id", "kind", "bytes", "digest", "refers", "problem")
 
 
@@ -206,7 +232,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(pages, folder)
     found = read(spark, folder)
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    number = lambda c: F.col(c).cast(kind)
     out = found.select(number("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.when(F.col("problem").isNull(), F.col("kind")).otherwise(F.raise_error("problem")).alias("record_type"), number("refers").alias("refers_to"))
     out = materialize(out)
     drop_folder(spark, folder)

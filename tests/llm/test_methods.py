@@ -13,7 +13,9 @@ import duckdb
 import numpy as np
 import pytest
 
+
 from ndspark.llm import langid, media, mixing, packing, pii, queries, simhash, toxicity, warc
+from ndspark.llm.common import shared_folder
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -366,6 +368,35 @@ def test_reading_foreign_archives(spark, tmp_path):
     assert "total length" in got["8"].problem and "digest" in got["9"].problem
 
 
+def test_long_pages_take_linear_time(spark):
+    """16 MiB pages, of one line and of many, through writing, segments and reading."""
+    import hashlib
+    import time
+
+    rows = [(1, "u", "x" * (16 << 20)), (2, "u", "é line\n" * (2 << 20)), (3, "u", "short")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    began = time.time()
+    warc.write(df, folder := shared_folder(spark, "long"))
+    got = {r.id: r for r in warc.read(spark, folder).collect()}
+    assert time.time() - began < 60
+    assert all((got[str(i)].bytes, got[str(i)].digest, got[str(i)].problem) == (len(t.encode()), hashlib.sha1(t.encode()).hexdigest(), None) for i, _, t in rows)
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_any_identifier_comes_back(spark, few):
+    """Identifiers of any text, through both ways to find revisits; hot payloads are dealt out in the second."""
+    ids = ["x:1", "x:2", "null", "", None, "a%3Ab", "<é 漢>", "=", *[f"p{i}" for i in range(300)]]
+    rows = [(i, "", "same " * 300) for i in ids] + [(f"own{k}", "", f"{k} " * 900) for k in range(40)] + [(f"pair{k}", "", f"{k // 2} " * 1100) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(5)
+    warc.write(df, folder := shared_folder(spark, "ids"), few=few)
+    got = {r.id: (r.kind, r.refers) for r in warc.read(spark, folder).collect()}
+    top = max(i for i in ids if i is not None)
+    want = {i: ("response", None) if i in (None, top) else ("revisit", top) for i in ids}
+    want |= {f"own{k}": ("response", None) for k in range(40)}
+    want |= {f"pair{k}": ("response", None) if f"pair{k}" > f"pair{k ^ 1}" else ("revisit", f"pair{k ^ 1}") for k in range(40)}
+    assert got == want
+
+
 # mixing
 
 
