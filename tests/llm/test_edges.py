@@ -64,6 +64,23 @@ def test_exact_dedup_deals_hot_texts_out(spark):
     assert {r.keep_id for r in got if r.group_size == 300} == {1000}
 
 
+def test_exact_dedup_by_content_where_many_begin_alike(spark):
+    """Beginnings that are frequent at every level, hot texts among them, and identifiers that are text."""
+    head = "the same beginning of all " * 4
+    rows = [(f"a{i:04}", head + f"{i % 150} tail") for i in range(450)] + [(f"b{i:04}", head * 30 + f"{i % 90}") for i in range(180)] + [(f"c{i:04}", head * 31) for i in range(200)] + [(f"d{i}", f"own {i}") for i in range(30)] + [(None, head * 31)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    want = {}
+    for i, t in rows:
+        want.setdefault(" ".join(t.split(" ")), []).append(i)
+    for levels in ((32, 256, 2048), (8, 16), (32,)):
+        got = exact_dedup.exact_dedup(df, levels=levels).collect()
+        assert len(got) == len(rows) and sum(r.kept for r in got) == len(want)
+        for t, ids in want.items():
+            mine = [r for r in got if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()]
+            least = min(i for i in ids if i is not None)
+            assert {(r.keep_id, r.group_size) for r in mine} == {(least, len(ids))} and [r.doc_id for r in mine if r.kept] == [least]
+
+
 def test_media(docs, empty):
     got = media.read_media(media.store_media(docs)).collect()
     assert len(got) == len(ROWS) and media.read_media(media.store_media(empty)).count() == 0
