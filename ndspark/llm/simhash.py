@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, materialize, stored
+from .common import documents, lookup, materialize, partitions, stored
 
 BITS = 64
 #: The 64 bits are cut into so many runs, or one more than the budget if that is more; fingerprints within
@@ -200,7 +200,8 @@ def links(reps: DataFrame, bits: int, most: int = 2048, step: int = 8) -> DataFr
 
 def in_groups(rows: DataFrame, group: list[str], bits: int, sides: bool) -> DataFrame:
     names = [*group, *(["side"] if sides else []), "fp", "rep"]
-    dealt = rows.select(*names).repartition(*group).sortWithinPartitions(*group)
+    # a number of partitions of its own: work grows with pairs, not with the few bytes by which they would be coalesced
+    dealt = rows.select(*names).repartition(partitions(rows.sparkSession), *group).sortWithinPartitions(*group)
     return dealt.mapInArrow(lambda it: bucket_links(it, bits, sides), "a bigint, b bigint")
 
 
@@ -231,17 +232,25 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, fp (64 bits as a bigint), component: the smallest identifier that links lead to.
 
     A fingerprint sums the XXH64 (seed 42) of the shingles of the whole text, A-Z lower-cased; equal
-    fingerprints are joined first, then different ones within `bits` bits.
+    fingerprints are joined first, then different ones within `bits` bits. Fingerprints are the nodes
+    that links join, so identifiers may be of any type that has an order.
 
     Null, empty and blank texts have fingerprint zero and are linked like others. Rows with a null
-    identifier get their fingerprint's component, null if no other row has one. Repeated rows are
+    identifier are linked too; a component of nothing else has a null component. Repeated rows are
     linked to each other. An empty table gives no row. Other columns of the input are not read.
     """
-    prints = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: fingerprints(it, shingle), "id bigint, fp bigint")
+    kind = df.schema[id_col].dataType.simpleString()
+    prints = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: fingerprints(it, shingle), f"id {kind}, fp bigint")
     prints = materialize(prints)
-    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
-    roots = components(links(reps.where("rep IS NOT NULL").drop("w"), bits, most))
-    named = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"), "w")
+    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")))
+    roots = stored(components(links(reps.select("fp", F.col("fp").alias("rep")), bits, most)))
+    # few fingerprints have a link: only those meet their component's smallest identifier
+    near = stored(roots.join(reps.select("fp", "least"), roots.node == reps.fp).select("node", "root", "least"))
+    heads = reps.join(near.select(F.col("root").alias("fp")).distinct(), "fp").select(F.col("fp").alias("root"), "least")
+    best = stored(near.select("root", "least").unionByName(heads).groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("w")))
+    linked = lookup(near.select("node", "root"), best, ["root"], "w", near.count(), F.col("node")).select(F.col("node").alias("fp"), "component")
+    linked = linked.unionByName(best.select(F.col("root").alias("fp"), "component"))
+    named = reps.join(linked.withColumn("_linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component")).otherwise(F.col("least")).alias("component"), "w")
     named = materialize(named)
     return lookup(prints, named, ["fp"], "w", prints.count(), F.xxhash64("id"))
 

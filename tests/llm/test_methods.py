@@ -311,6 +311,23 @@ def test_components_of_chains_and_stars(spark):
     assert set(got.values()) == {0} and len(got) == 200 + 300 + 1
 
 
+def test_simhash_query_by_hand(spark, texts):
+    """Fingerprints and components of the whole table by all pairs."""
+    ids = sorted(texts)
+    prints = np.array([int.from_bytes(simhash.fingerprint((texts[i] or "").encode(), 3), "big") for i in ids], np.uint64)
+    classes = brute_components(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op7_simhash"](spark, SF).collect()}
+    assert got == {i: (f"{int(p):016x}", ids[c]) for i, p, c in zip(ids, prints, classes)}
+
+
+def test_simhash_takes_any_identifier(spark):
+    """Identifiers that are text, null ones, and components without any."""
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [("b", base), ("a", base + " end"), (None, base + " more"), (None, "x y z w v u"), (None, "x y z w v u"), ("c", "own words here and there")]
+    got = sorted(map(str, simhash.simhash_components(spark.createDataFrame(rows, "doc_id string, text string"), bits=9).select("id", "component").collect()))
+    assert got == sorted(["Row(id='b', component='a')", "Row(id='a', component='a')", "Row(id=None, component='a')", "Row(id=None, component=None)", "Row(id=None, component=None)", "Row(id='c', component='c')"])
+
+
 def test_fingerprints(texts):
     import xxhash
 
