@@ -18,11 +18,11 @@ BITS = 64
 BLOCKS = 5
 
 
-def fingerprint(text: bytes, shingle: int) -> bytes:
-    """Eight bytes, the highest bit first. Works a piece at a time, so long texts need no more memory."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the runs of `shingle` words, repeats included; of all words if there are fewer, none without one."""
     words = text.lower().split()
     if not words:
-        return bytes(8)
+        return np.empty(0, ">u8")
     ends, at = [], 0
     for w in words:
         ends.append(at + len(w))
@@ -30,11 +30,20 @@ def fingerprint(text: bytes, shingle: int) -> bytes:
     flat, n = b" ".join(words), max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] or [len(flat)]
     starts = [0, *[e + 1 for e in ends[: n - 1]]]
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_digest
-    for a in range(0, n, 8192):
-        part = b"".join([digest(flat[s:e], 42) for s, e in zip(starts[a : a + 8192], last[a : a + 8192])])
-        counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > n).tobytes()
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(flat[s:e], 42) for s, e in zip(starts, last)]), ">u8")
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """Eight bytes, the highest bit first: the bits set in over half of the hashes, zero without any. Works a piece at a time."""
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[a : a + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int) -> bytes:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(batches, shingle: int):
@@ -241,7 +250,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     kind = df.schema[id_col].dataType.simpleString()
     prints = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: fingerprints(it, shingle), f"id {kind}, fp bigint")
-    prints = materialize(prints)
+    return print_components(materialize(prints), bits, most)
+
+
+def print_components(prints: DataFrame, bits: int, most: int = 2048) -> DataFrame:
+    """id, fp (materialised) -> with component: see simhash_components."""
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")))
     roots = stored(components(links(reps.select("fp", F.col("fp").alias("rep")), bits, most)))
     # few fingerprints have a link: only those meet their component's smallest identifier
@@ -255,20 +268,21 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return lookup(prints, named, ["fp"], "w", prints.count(), F.xxhash64("id"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, least: float = 0.8) -> DataFrame:
     """The rows of df of which each stands for a group of near-duplicates: those with the smallest identifier.
 
-    Linked are rows whose fingerprints are within `bits` bits, and rows whose sets of shingles of `words`
-    words have a Jaccard similarity of `least` or more.
+    Linked are rows whose fingerprints of shingles of `words` words are within `bits` bits, and rows whose
+    sets of these shingles have a Jaccard similarity of `least` or more. Texts without a word are alike.
 
     Rows are linked by their own numbers, so one row of each group stays whatever the identifiers: rows
     that share one, or have none, but hold different texts all stay. Null identifiers come last.
     """
-    from .minhash import jaccard_links  # it needs components() from here
+    from .minhash import jaccard_links, signed_rows  # it needs components() from here
 
     rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
-    alike = simhash_components(rows, "_row", text_col, shingle, bits).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    roots = components(alike.unionByName(jaccard_links(rows, "_row", text_col, words, least)))
+    signed = signed_rows(rows, "_row", text_col, words)
+    alike = print_components(signed.select(F.col("row").alias("id"), "fp"), bits).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    roots = components(alike.unionByName(jaccard_links(rows, signed, "_row", text_col, words, least)))
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), "_row").alias("_rank")
     ranked = rows.select("_row", rank).join(roots.select(F.col("node").alias("_row"), "root"), "_row", "left")
     heads = ranked.groupBy(F.coalesce("root", "_row").alias("_component")).agg(F.min("_rank").alias("_rank")).select("_rank._row")

@@ -68,9 +68,10 @@ def test_line_stage_keeps_what_has_a_word(spark):
 
 
 def test_near_stage(stages):
+    """What fingerprints within 3 bits or a Jaccard similarity of 0.8 link, both of five words, by all pairs."""
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    prints = np.array([int.from_bytes(simhash.fingerprint(t.encode(), 3), "big") for _, t in rows], np.uint64)
-    root = list(range(len(rows)))
+    prints = np.array([int.from_bytes(simhash.fingerprint(t.encode(), 5), "big") for _, t in rows], np.uint64)
+    root = by_jaccard([t.translate({c: c + 32 for c in range(65, 91)}) for _, t in rows])
 
     def find(i):
         while root[i] != i:
@@ -128,7 +129,7 @@ def test_jaccard_links_in_slices(spark):
     """A group that is cut into slices has the links of the whole."""
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(5)
-    links = minhash.jaccard_links(docs, "row", "text", texts=20)
+    links = minhash.jaccard_links(docs, minhash.signed_rows(docs, "row", "text", 5), "row", "text", texts=20)
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     assert [roots.get(i, i) for i in range(len(texts))] == by_jaccard(texts)
 
