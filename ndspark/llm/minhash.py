@@ -28,10 +28,12 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    h = (found >> np.uint64(32)).astype(np.uint32)[:, None]
+    h = (found >> np.uint64(32)).astype(np.uint32)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(h), 256):
-        np.minimum(low, (h[i : i + 256] * MULTIPLY + ADD).min(0), out=low)
+    for i in range(0, len(h), 1024):
+        x = np.multiply.outer(MULTIPLY, h[i : i + 1024])
+        x += ADD[:, None]
+        np.minimum(low, x.min(1), out=low)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part, m in zip(low.reshape(BANDS, ROWS).T, MIX):
         key = (key ^ part) * m

@@ -268,6 +268,16 @@ def print_components(prints: DataFrame, bits: int, most: int = 2048) -> DataFram
     return lookup(prints, named, ["fp"], "w", prints.count(), F.xxhash64("id"))
 
 
+def row_links(prints: DataFrame, bits: int, most: int = 2048) -> DataFrame:
+    """row (a bigint), fp -> a, b (a > b): enough links of rows for the components of fingerprints within `bits` bits."""
+    reps = stored(prints.groupBy("fp").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("w")))
+    equal = lookup(prints, reps, ["fp"], "w", prints.count(), F.xxhash64("row")).where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    found = stored(links(reps.select("fp", F.col("fp").alias("rep")), bits, most).distinct())
+    of = lambda c: reps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_row"))
+    near = found.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_row", "b_row").alias("a"), F.least("a_row", "b_row").alias("b"))
+    return equal.unionByName(near)
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 3, least: float = 0.8) -> DataFrame:
     """The rows of df of which each stands for a group of near-duplicates: those with the smallest identifier.
 
@@ -281,8 +291,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
     signed = signed_rows(rows, "_row", text_col, words)
-    alike = print_components(signed.select(F.col("row").alias("id"), "fp"), bits).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    roots = components(alike.unionByName(jaccard_links(rows, signed, "_row", text_col, words, least)))
+    roots = components(row_links(signed.select("row", "fp"), bits).unionByName(jaccard_links(rows, signed, "_row", text_col, words, least)))
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), "_row").alias("_rank")
     ranked = rows.select("_row", rank).join(roots.select(F.col("node").alias("_row"), "root"), "_row", "left")
     heads = ranked.groupBy(F.coalesce("root", "_row").alias("_component")).agg(F.min("_rank").alias("_rank")).select("_rank._row")
