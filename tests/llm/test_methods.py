@@ -241,6 +241,84 @@ def test_terms_that_reveal_an_entity(spark):
     assert "smith" not in clean[1] and "[EMAIL]" in clean[1] and clean[105] == rows[9][1]
 
 
+def by_hand_terms(rows, context, alpha=0.9, support=2):
+    """The method on dictionaries: (row, start, end) of every term."""
+    import math
+
+    spans, words, holds = {}, {}, {}
+    near = {}
+    for i, text in rows:
+        spans[i] = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in reference_spans(text))]
+        words[i] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+        name = lambda k, v: f"{k}:{v.lower() if k == 'email' else re.sub('[^0-9.]', '', v)}"
+        holds[i] = {name(k, text[a:b]) for k, a, b in spans[i]}
+        for k, a, b in spans[i]:
+            lo, hi = max(0, a - context), min(len(text), b + context)
+            cut = text[lo:a] + "\1" + text[b:hi]
+            for side, s, e in ((text[lo:a], lo, a), (text[b:hi], b, hi)):
+                for m in re.finditer(r"[^\W_]+", side):
+                    if len(m[0]) > 1 and not (side is not None and s == lo and lo > 0 and m.start() == 0 and s != a and (s, e) == (lo, a)) and not ((s, e) == (b, hi) and b + context < len(text) and m.end() == len(side)):
+                        near.setdefault((name(k, text[a:b]), m[0].lower()), set()).add(cut)
+    out, n, having, owners = set(), len(rows), {}, {}
+    for i in words:
+        for w, _, _ in words[i]:
+            having.setdefault(w, set()).add(i)
+        for e in holds[i]:
+            owners.setdefault(e, set()).add(i)
+    for (e, t), windows in near.items():
+        have, ent = having[t], owners[e]
+        both = len(have & ent)
+        ic = max(math.log2(n / len(ent)), 1e-9)
+        if len(windows) >= support and both >= support and math.log2(both * n / (len(have) * len(ent))) / ic >= alpha - 1e-12:
+            out |= {(i, a, b) for i in have & ent for w, a, b in words[i] if w == t and not any(a < y and x < b for _, x, y in spans[i])}
+    return out
+
+
+def test_terms_by_hand(spark, texts):
+    """Terms on the whole table plus planted ones: names far from the entity, numbers, other kinds of entities, frequent pairs."""
+    rnd = random.Random(11)
+    plain = [f"plain{i}" for i in range(60)]
+    fill = lambda k: " ".join(rnd.choices(plain, k=k))
+    rows = [(10**6 + i, f"Zorbat {fill(60)} zorbat, badge 77812: +49 30 {5550000 + i % 3}, {fill(40)} ZORBAT. badge 77812 x") for i in range(9)]
+    rows += [(2 * 10**6 + i, f"{fill(30)} quillon wrote {fill(2)} from qx@mail.example.org {fill(3)} 10.0.0.7 {fill(50)} quillon") for i in range(40)]
+    rows += [(3 * 10**6 + i, fill(50) + (" quillon" if i < 2 else "")) for i in range(40)]
+    rows += [(4 * 10**6, "\u0130x " + fill(20) + " vexmor a@b.example.org " + fill(30) + " Vexmor"), (4 * 10**6 + 1, fill(9) + " vexmor, a@b.example.org " + fill(30))]
+    every = [*texts.items(), *rows]
+    df = spark.createDataFrame([(i, t) for i, t in every], "doc_id bigint, text string").repartition(4)
+    got = {(r.id, s.start, s.end) for r in pii.find_pii(df).collect() for s in r.spans if s.kind == 4}
+    assert got == by_hand_terms([(i, t or "") for i, t in every], 80)
+    found = {dict(rows)[i][a:b].lower() for i, a, b in got if i >= 10**6}
+    assert {"quillon", "vexmor"} <= found and "plain3" not in found
+    later = [(i, a) for i, a, b in got if 2 * 10**6 <= i < 3 * 10**6 and dict(rows)[i][a:b] == "quillon"]
+    assert len(later) == 80 and not any(i >= 3 * 10**6 and i < 4 * 10**6 for i, _, _ in got)
+
+
+def test_pii_query_by_hand(spark, texts):
+    import hashlib
+
+    got = {r.doc_id: r for r in queries.QUERIES["op6_pii"](spark, SF).collect()}
+    terms = by_hand_terms([(i, t or "") for i, t in texts.items()], 80)
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        base = list(reference_spans(text or ""))
+        r, own = got[i], [x.split(":")[0] for x in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(own.count(k) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r.spans == ",".join([*base, *[f"term:{a}:{b}" for _, a, b in sorted(x for x in terms if x[0] == i)]])
+
+
+def test_long_texts_with_many_spans_take_linear_time(spark):
+    """A megabyte of addresses, of numbers, and of both between words."""
+    import time
+
+    rows = [(1, "me@x.org " * 40_000), (2, "12, " * 100_000), (3, "word 1.2.3.4 and a@b.cd, +49 301 5550000; " * 8_000), (4, "word 1.2.3.4 and a@b.cd; " * 8_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.counted(pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_email, got[2].n_card, got[3].n_ip, got[3].n_email, got[3].n_phone) == (40_000, 0, 8_000, 8_000, 8_000)
+    assert "term:0:4" in got[4].spans and "term:13:16" in got[4].spans
+
+
 # near duplicates
 
 
