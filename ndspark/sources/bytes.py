@@ -119,7 +119,8 @@ class HttpSource:
         return fnv1a(self.url) ^ (fnv1a(etag) if self.validate and etag else 0) ^ (fnv1a(changed) if changed else 0)
 
     def cached(self, cache: BlockCache) -> BlockCachedSource:
-        return BlockCachedSource(self, cache, self.key())
+        """Read through a cache, under the kind of key that the cache takes; a text key is the url alone, for files that never change."""
+        return BlockCachedSource(self, cache, self.url if getattr(cache, "key_kind", "number") == "text" else self.key())
 
     def close(self) -> None:
         self._meta = None
@@ -197,6 +198,8 @@ class BlockCache(Protocol):
 class LruBlockCache:
     """Blocks in memory; the least recently used go. Threads that miss the same block share one fetch."""
 
+    key_kind = "number"
+
     def __init__(self, block_size: int = 64 * 1024, max_blocks: int = 256):
         self.block_size, self.max_blocks = block_size, max(1, max_blocks)
         self._held: OrderedDict = OrderedDict()
@@ -216,7 +219,7 @@ class LruBlockCache:
         if not mine:
             return flight.result()
         try:
-            data = fetch()
+            data = self._load(key, fetch)
         except BaseException as e:
             with self._lock:
                 del self._flying[key]
@@ -230,6 +233,9 @@ class LruBlockCache:
         flight.set_result(data)
         return data
 
+    def _load(self, key, fetch) -> bytes:
+        return fetch()
+
     def prefetch(self, key, fetch) -> None:
         if key not in self._held:
             try:
@@ -246,30 +252,68 @@ class LruBlockCache:
 
 
 class DiskBlockCache(LruBlockCache):
-    """As LruBlockCache, with a second tier of files; above max_bytes the oldest files go until a fraction is free."""
+    """As LruBlockCache, with a second tier of files; above max_bytes the oldest files go until a fraction is free.
+
+    Blocks in memory that nobody asked for during `ttl` seconds go. At most `fetches` loads from the source
+    run at once, first come, first served. Each file begins with the length of the block's source, if
+    that is known, so the source's size can be told without asking it.
+    """
+
+    key_kind = "text"
 
-    def __init__(self, folder: str, block_size: int = 64 * 1024, max_blocks: int = 256, max_bytes: int = 1 << 30, fraction: float = 0.1):
+    def __init__(self, folder: str, block_size: int = 64 * 1024, max_blocks: int = 256, max_bytes: int = 1 << 30, fraction: float = 0.1, ttl: float = 1.0, fetches: int = 10, clock=time.monotonic):
         super().__init__(block_size, max_blocks)
-        self.folder, self.max_bytes, self.fraction = folder, max_bytes, fraction
+        self.folder, self.max_bytes, self.fraction, self.ttl, self._clock = folder, max_bytes, fraction, ttl, clock
+        self._used: dict = {}
+        self._slots = threading.BoundedSemaphore(max(1, fetches))
+        self.loading = self.waiting = 0
         os.makedirs(folder, exist_ok=True)
 
     def _path(self, key) -> str:
         return os.path.join(self.folder, f"{fnv1a(str(key)):016x}")
 
-    def get(self, key, fetch):
-        def through() -> bytes:
+    def _expire(self, key) -> None:
+        now = self._clock()
+        with self._lock:
+            for old in [k for k, t in self._used.items() if now - t > self.ttl]:
+                self._held.pop(old, None)
+                del self._used[old]
+            self._used[key] = now
+
+    def get(self, key, fetch, total: int | None = None):
+        self._expire(key)
+        return super().get(key, lambda: (fetch(), total))
+
+    def _load(self, key, fetch) -> bytes:
+        try:
+            with open(self._path(key), "rb") as f:
+                return f.read()[8:]
+        except FileNotFoundError:
+            pass
+        with self._lock:
+            self.waiting += 1
+        with self._slots:
+            with self._lock:
+                self.waiting, self.loading = self.waiting - 1, self.loading + 1
             try:
-                with open(self._path(key), "rb") as f:
-                    return f.read()
-            except FileNotFoundError:
-                data = fetch()
-                with open(part := f"{self._path(key)}.{threading.get_ident()}.part", "wb") as f:
-                    f.write(data)
-                os.replace(part, self._path(key))
-                self._evict()
-                return data
-
-        return super().get(key, through)
+                data, total = fetch()
+            finally:
+                with self._lock:
+                    self.loading -= 1
+        with open(part := f"{self._path(key)}.{threading.get_ident()}.part", "wb") as f:
+            f.write((-1 if total is None else total).to_bytes(8, "little", signed=True) + data)
+        os.replace(part, self._path(key))
+        self._evict()
+        return data
+
+    def size(self, key) -> int | None:
+        """The length of the source that this block belongs to, if a file says so."""
+        try:
+            with open(self._path(key), "rb") as f:
+                found = int.from_bytes(f.read(8), "little", signed=True)
+        except FileNotFoundError:
+            return None
+        return None if found < 0 else found
 
     def entries(self) -> list[tuple[str, int, float]]:
         """Path, size and time of each file, the oldest first."""
@@ -288,7 +332,11 @@ class DiskBlockCache(LruBlockCache):
 
     def stats(self) -> dict[str, int]:
         held = self.entries()
-        return {"entries": len(held), "bytes": sum(n for _, n, _ in held), "memory_blocks": len(self._held), "hits": self.hits, "misses": self.misses}
+        """What both tiers hold and do: files and their bytes, blocks and bytes in memory, loads that run and wait, requests that share a load."""
+        with self._lock:
+            kept, flying = list(self._held.values()), len(self._flying)
+            more = {"memory_blocks": len(kept), "memory_bytes": sum(map(len, kept)), "loading": self.loading, "waiting": self.waiting, "in_flight": flying, "hits": self.hits, "misses": self.misses}
+        return {"entries": len(held), "bytes": sum(n for _, n, _ in held), "max_bytes": self.max_bytes, "block_size": self.block_size} | more
 
     def clear(self) -> None:
         super().clear()
@@ -301,12 +349,17 @@ class BlockCachedSource:
 
     def __init__(self, source: ByteSource, cache: BlockCache, base: int | str):
         self.source, self.cache, self.base = source, cache, base
+        self._count: int | None = None
 
     def key(self, block: int):
         return self.base + block if isinstance(self.base, int) else f"{self.base}/block/{block}"
 
     def count(self) -> int:
-        return self.source.count()
+        """Known already, or told by the cache, or asked of the source, in this order."""
+        if self._count is None:
+            told = self.cache.size(self.key(0))
+            self._count = self.source.count() if told is None else told
+        return self._count
 
     def blocks(self, offset: int, size: int) -> list[tuple[int, int, int]]:
         """Number, start and end of each block that the extent needs, in the order of the file."""
@@ -321,7 +374,8 @@ class BlockCachedSource:
         if size <= 0:
             return b""
         found = self.blocks(offset, size)
-        data = b"".join(self.cache.get(self.key(b), self._fetch(s, e)) for b, s, e in found)
+        more = {"total": self.count()} if isinstance(self.cache, DiskBlockCache) else {}
+        data = b"".join(self.cache.get(self.key(b), self._fetch(s, e), **more) for b, s, e in found)
         return data[offset - found[0][1] :][:size]
 
     def prefetch_tasks(self, offset: int, size: int) -> list[Callable[[], None]]:

@@ -35,13 +35,13 @@ class Store:
         try:
             nodes = spark.read.parquet(f"{path}/nodes")
         except Exception as e:
-            raise StoreError(f"Not a valid store: {path}") from e
+            raise StoreError(f"{path} holds no store") from e
         missing = {f.name for f in catalog.NODES} - set(nodes.columns)
         if missing:
-            raise StoreError(f"Not a valid store: {path} has no {', '.join(sorted(missing))}")
+            raise StoreError(f"{path} holds no store: it lacks {', '.join(sorted(missing))}")
         roots = nodes.where("parent_id IS NULL").collect()
         if len(roots) != 1:
-            raise StoreError(f"Not a valid store: {path} has {len(roots)} roots")
+            raise StoreError(f"{path} holds no store: it has {len(roots)} roots")
         self.nodes = nodes.select(*[f.name for f in catalog.NODES])
         self.root = Node(self, roots[0])
 
@@ -58,7 +58,7 @@ class Node:
     @property
     def row(self):
         if self._row is None:
-            raise StoreError("Reader not initialized")
+            raise StoreError("this node was closed")
         return self._row
 
     def close(self) -> None:
@@ -135,7 +135,7 @@ class Node:
         row = self.row
         dtype = DataType(dtype)
         if dtype != row.dtype or not dtype.readable:
-            raise StoreError(f"Invalid data type: expected {DataType(row.dtype).name}, got {dtype.name}")
+            raise StoreError(f"values of type {DataType(row.dtype).name} were asked for as {dtype.name}")
         ranges = as_ranges(ranges)
         check_ranges(ranges, row.dims)
         return ranges
@@ -157,7 +157,7 @@ class Node:
         for r in ranges:
             need *= r.count
         if len(output) < need:
-            raise StoreError(f"Output array is too small: {len(output)} of {need}")
+            raise StoreError(f"the buffer has room for {len(output)} of {need} values")
         values = self.read_flat(dtype, ranges)
         output[:need] = array(output.typecode, values) if isinstance(output, array) else values
 
@@ -189,6 +189,16 @@ def cancellable(spark: SparkSession, tag: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the cluster's shared folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder's path in the cluster's shared folder (spark.checkpoint.dir); a temporary one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise StoreError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/ndspark-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what a loop builds on stays a scan."""
+    df.write.parquet(folder := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

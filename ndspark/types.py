@@ -116,7 +116,7 @@ def as_ranges(ranges) -> list[Range]:
 def check_ranges(ranges: list[Range], dims: list[int]) -> None:
     """Rank first, then bounds: each range must be non-empty and inside its dimension."""
     if len(ranges) != len(dims):
-        raise StoreError(f"Mismatched dimensions: {len(ranges)} ranges for {len(dims)} dimensions")
+        raise StoreError(f"{len(ranges)} ranges were given for an array of rank {len(dims)}")
     for i, (r, n) in enumerate(zip(ranges, dims)):
         if not 0 <= r.start < r.end <= n:
-            raise StoreError(f"Invalid range for dimension {i}: [{r.start}, {r.end}) of {n}")
+            raise StoreError(f"[{r.start}, {r.end}) is empty or outside of dimension {i}, which has {n} places")

@@ -96,6 +96,57 @@ def test_cached_reads(tmp_path, url, block):
     assert HttpSource(f"{url}/f").cached(LruBlockCache(block)).get_bytes(3, 9_000) == DATA[3:9_003]
 
 
+def test_second_tier(tmp_path, url):
+    """Keys by kind, length from the files, memory that expires, few loads at once, what stats tell."""
+    now = [0.0]
+    cache = DiskBlockCache(str(tmp_path / "c"), 1000, 8, ttl=1.0, fetches=2, clock=lambda: now[0])
+    s = HttpSource(f"{url}/f").cached(cache)
+    assert s.base == f"{url}/f" and HttpSource(f"{url}/f").cached(LruBlockCache()).base == HttpSource(f"{url}/f").key()
+    assert s.get_bytes(9_500, 500) == DATA[9_500:]
+    again = BlockCachedSource(FileSource(b""), cache, f"{url}/f")  # its own length isn't asked for
+    assert again.count() == len(DATA) and again.get_bytes(9_500, 500) == DATA[9_500:]
+    assert cache.stats()["memory_blocks"] == 1 and cache.stats()["memory_bytes"] == 1000
+    now[0] = 2.0
+    cache.get("other", lambda: b"x")
+    assert cache.stats()["memory_blocks"] == 1 and cache.stats()["entries"] == 2
+    running, most, lock, gate = [0], [0], threading.Lock(), threading.Event()
+
+    def slow():
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        gate.wait(0.05)
+        with lock:
+            running[0] -= 1
+        return b"y"
+
+    threads = [threading.Thread(target=lambda i=i: cache.get(f"k{i}", slow)) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    told = cache.stats()
+    assert most[0] <= 2 and (told["loading"], told["waiting"], told["in_flight"]) == (0, 0, 0)
+    assert (told["max_bytes"], told["block_size"]) == (1 << 30, 1000)
+
+
+def test_eviction_over_ranges(spark):
+    """One cache that holds everything, and many, against a plain loop."""
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(1, 90), rnd.choice([None, *range(40)]), rnd.choice(["a", "b", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "key int, size bigint, created_at bigint, name string").repartition(6)
+    for cache in (None, "name"):
+        for limit in (100, 9_000, 10**6):
+            want = {}
+            for c in {r[3] if cache else "" for r in rows}:
+                mine = sorted((r for r in rows if not cache or r[3] == c), key=lambda r: (r[2] or 0, r[0]))
+                total = left = sum(r[1] for r in mine)
+                for r in mine:
+                    want[r[0]] = total > limit and left > limit * 0.9
+                    left -= r[1]
+            assert {r.key: r.evicted for r in cache_sim.evict_fifo(df, limit, 0.1, cache).collect()} == want
+
+
 def test_first_block_is_the_short_one():
     s = BlockCachedSource(FileSource(DATA), LruBlockCache(4096), 0)
     assert s.blocks(0, 10_000) == [(2, 0, 1808), (1, 1808, 5904), (0, 5904, 10_000)]

@@ -59,24 +59,24 @@ def test_every_scalar_type(root, name, dtype, field, value):
 
 def test_errors_come_before_any_job(root):
     node = root.find_by_path("child_0/child_0_0/child_0_0_1")
-    with pytest.raises(StoreError, match="Invalid data type"):
+    with pytest.raises(StoreError, match="asked for as"):
         node.read(DataType.DOUBLE_ARRAY, [(0, 9), (0, 9), (0, 9)])
-    with pytest.raises(StoreError, match="Mismatched dimensions"):
+    with pytest.raises(StoreError, match="rank 2"):
         node.read(DataType.FLOAT_ARRAY, [(0, 1)] * 3)
     for bad in ((0, 3), (1, 1), (2, 1), (-1, 1)):
-        with pytest.raises(StoreError, match="Invalid range for dimension 0"):
+        with pytest.raises(StoreError, match="outside of dimension 0"):
             node.read(DataType.FLOAT_ARRAY, [bad, (0, 1)])
-    with pytest.raises(StoreError, match="too small"):
+    with pytest.raises(StoreError, match="room for 5 of 6"):
         node.read_into(DataType.FLOAT_ARRAY, [(0, 2), (0, 3)], [0.0] * 5)
     node.close()
-    with pytest.raises(StoreError, match="not initialized"):
+    with pytest.raises(StoreError, match="closed"):
         node.read(DataType.FLOAT_ARRAY, [(0, 1), (0, 1)])
-    with pytest.raises(StoreError, match="not initialized"):
+    with pytest.raises(StoreError, match="closed"):
         _ = node.dimensions
 
 
 def test_not_a_store(spark, tmp_path):
-    with pytest.raises(StoreError, match="Not a valid store"):
+    with pytest.raises(StoreError, match="holds no store"):
         open_store(spark, str(tmp_path / "none"))
 
 
