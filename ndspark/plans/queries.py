@@ -239,18 +239,53 @@ def codec_xor_roundtrip(spark, sf_dir):
     return df.select("event_id", codec.bits_double(codec.unxor(F.col("x"), ["chunk"], [], "event_id")).alias("value"))
 
 
-#: Files of 1000 documents, laid out by n_chars.
-EXTENTS = """SELECT doc_id AS id, doc_id // 1000 AS file, n_chars AS size, lang,
-CAST(sum(n_chars) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS BIGINT) - n_chars AS off,
-CAST(sum(n_chars) OVER (PARTITION BY doc_id // 1000) AS BIGINT) AS file_size FROM documents WHERE n_chars > 0"""
+#: The embeddings as thousandths in chunks of 64 x 16: lanes are the rows of a chunk along the second dimension's order.
+GRID = "SELECT vec_id, d, vec_id // 64 AS c0, d // 16 AS c1, CAST(round_even(embedding[d + 1]::DOUBLE * 1000::DOUBLE, 0) AS BIGINT) AS q FROM embeddings, (SELECT unnest(range(0, 64)) AS d) AS u"
+LANES = (["c0", "c1"], ["d"], "vec_id")
+
+
+def grid(spark, sf_dir):
+    """Chunked integers in two dimensions; in each chunk, every column is a lane that runs down the rows."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "v")).withColumn("d", F.col("d").cast("bigint"))
+    return df.select("vec_id", "d", F.expr("vec_id div 64").alias("c0"), F.expr("d div 16").alias("c1"), codec.scale_wide(F.col("v").cast("double"), 1000.0).alias("q"))
+
+
+@query(f"SELECT vec_id, d, q - coalesce(lag(q) OVER (PARTITION BY c0, c1, d ORDER BY vec_id), 0) AS diff FROM ({GRID}) AS s")
+def codec_delta_2d(spark, sf_dir):
+    return grid(spark, sf_dir).select("vec_id", "d", codec.delta(F.col("q"), *LANES).alias("diff"))
+
+
+@query(f"SELECT vec_id, d, q FROM ({GRID}) AS s")
+def codec_delta_2d_roundtrip(spark, sf_dir):
+    df = grid(spark, sf_dir).withColumn("diff", codec.delta(F.col("q"), *LANES))
+    return df.select("vec_id", "d", codec.undelta(F.col("diff"), *LANES).alias("q"))
+
+
+@query(f"SELECT vec_id, d, xor(q, coalesce(lag(q) OVER (PARTITION BY c0, c1, d ORDER BY vec_id), 0)) AS x FROM ({GRID}) AS s")
+def codec_xor_2d(spark, sf_dir):
+    return grid(spark, sf_dir).select("vec_id", "d", codec.xor(F.col("q"), *LANES).alias("x"))
+
+
+@query("SELECT vec_id, CAST(d AS BIGINT) AS d, embedding[d + 1] AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS d) AS u")
+def codec_xor_2d_roundtrip(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("d", "v"))
+    df = df.select("vec_id", F.col("d").cast("bigint").alias("d"), F.expr("vec_id div 64").alias("c0"), F.expr("d div 16").cast("bigint").alias("c1"), codec.float_bits("v").alias("b"))
+    df = df.withColumn("x", codec.xor(F.col("b"), *LANES))
+    return df.select("vec_id", "d", codec.bits_float(codec.unxor(F.col("x"), *LANES).cast("int")).alias("v"))
+
+
+#: Files of 1000 documents, laid out by n_chars; a header of doc_id % 7 thousand bytes is ahead of each document.
+EXTENTS = """SELECT doc_id AS id, doc_id // 1000 AS file, n_chars AS size,
+CAST(sum(n_chars + doc_id % 7 * 1000) OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS BIGINT) - n_chars AS off,
+CAST(sum(n_chars + doc_id % 7 * 1000) OVER (PARTITION BY doc_id // 1000) AS BIGINT) AS file_size FROM documents WHERE n_chars > 0"""
 
 
 def extents(spark, sf_dir):
     from pyspark.sql import Window
 
-    df = table(spark, sf_dir, "documents").where("n_chars > 0").select(F.col("doc_id").alias("id"), F.expr("doc_id div 1000").alias("file"), F.col("n_chars").alias("size"), "lang")
-    w = Window.partitionBy("file")
-    return df.withColumn("off", F.sum("size").over(w.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).withColumn("file_size", F.sum("size").over(w))
+    df = table(spark, sf_dir, "documents").where("n_chars > 0").select(F.col("doc_id").alias("id"), F.expr("doc_id div 1000").alias("file"), F.col("n_chars").alias("size"))
+    w, both = Window.partitionBy("file"), F.col("size") + F.col("id") % 7 * 1000
+    return df.withColumn("off", F.sum(both).over(w.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).withColumn("file_size", F.sum(both).over(w))
 
 
 @query(f"SELECT id, block, greatest(0, file_size - (block + 1) * 65536) AS block_start, file_size - block * 65536 AS block_end FROM (SELECT *, unnest(range((file_size - off - size) // 65536, (file_size - off - 1) // 65536 + 1)) AS block FROM ({EXTENTS}) AS e) AS b")
@@ -258,7 +293,7 @@ def block_cover(spark, sf_dir):
     return io_plan.block_cover(extents(spark, sf_dir), 65536)
 
 
-COALESCED = f"""WITH e AS (SELECT * FROM ({EXTENTS}) AS x WHERE lang = 'en'),
+COALESCED = f"""WITH e AS (SELECT * FROM ({EXTENTS}) AS x),
 p AS (SELECT *, max(off + size) OVER (PARTITION BY file ORDER BY off, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
 g AS (SELECT *, sum(CASE WHEN off - prev <= 2048 THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY off, size ROWS UNBOUNDED PRECEDING) AS r FROM p),
 c AS (SELECT file, min(off) AS start, max(off + size) AS "end", count(*) AS extents FROM g GROUP BY file, r) """
@@ -266,12 +301,12 @@ c AS (SELECT file, min(off) AS start, max(off + size) AS "end", count(*) AS exte
 
 @query(COALESCED + 'SELECT file, start, "end", extents FROM c')
 def io_coalesce(spark, sf_dir):
-    return io_plan.coalesce_reads(extents(spark, sf_dir).where("lang = 'en'"), 2048)
+    return io_plan.coalesce_reads(extents(spark, sf_dir), 2048)
 
 
 @query(COALESCED + 'SELECT file, extents, s AS start, least("end", s + 65536) AS "end" FROM (SELECT *, unnest(range(start, "end", 65536)) AS s FROM c) AS x')
 def io_split(spark, sf_dir):
-    return io_plan.split_reads(io_plan.coalesce_reads(extents(spark, sf_dir).where("lang = 'en'"), 2048), 65536)
+    return io_plan.split_reads(io_plan.coalesce_reads(extents(spark, sf_dir), 2048), 65536)
 
 
 @query("""WITH a AS (SELECT event_id AS t, user_id AS k, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS pt FROM events),
