@@ -19,10 +19,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared(spark: SparkSession) -> str:
-    """The cluster's shared folder: the session's spark.checkpoint.dir, a temporary one only where that is unset (local tests)."""
+    """The cluster's shared folder: the session's spark.checkpoint.dir, a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ndspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ndspark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -84,4 +87,12 @@ def stored(df: DataFrame) -> DataFrame:
     size estimates, which such joins square until planning never ends; a table's size is known."""
     folder = shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    for t in tables:
+        drop_folder(t.sparkSession, t._folder)

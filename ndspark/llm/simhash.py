@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, materialize, partitions, stored
+from .common import discard, documents, lookup, materialize, partitions, stored
 
 BITS = 64
 #: The 64 bits are cut into so many runs, or one more than the budget if that is more; fingerprints within
@@ -225,13 +225,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = mark(edges)
     while now[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("w")).where("w > 0"))
-        large = lookup(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), least, ["u"], "w", now[0], F.xxhash64("v")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        near = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("w")).where("w > 0"))
+        large = lookup(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), near, ["u"], "w", now[0], F.xxhash64("v")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large)
         least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w")))
         moved = lookup(large, least, ["a"], "w", large.count(), F.xxhash64("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        was, now = now, mark(edges)
+        new = stored(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        was, now = now, mark(new)
+        discard(edges, near, large, least)
+        edges = new
         if was == now:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
