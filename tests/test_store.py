@@ -123,12 +123,22 @@ def test_chunks_touched():
         assert io_plan.chunks_touched([500, 64], shape, [Range(10, 70), Range(4, 12)]) == n
 
 
-def test_data_source(spark):
+def test_data_source(spark, root, tmp_path):
+    from ndspark.operators import catalog
     from ndspark.sources.ndarray import NdArraySource
 
     spark.dataSource.register(NdArraySource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
+        for node, dtype in (("child_0/child_0_0/child_0_0_1", DataType.FLOAT_ARRAY), ("all_types/uint64", DataType.UINT64_ARRAY)):
+            node = root.find_by_path(node)
+            df = spark.read.format("ndarray").options(path=root._store.path, node=node.node_id).load()
+            assert sorted(df.collect()) == sorted(node.read(dtype, [(0, n) for n in node.dimensions]).collect())
+        rows = [(0, None, 0, "r", 0, 4, 1.0, 0.0, [], [], None), (1, 0, 0, "a", int(DataType.DOUBLE_ARRAY), 4, 1.0, 0.0, [30, 9], [4, 2], None)]
+        write_store(spark.createDataFrame(rows, catalog.NODES), {1: grid(spark, [30, 9])}, str(tmp_path / "s"))
+        node = open_store(spark, str(tmp_path / "s")).find_by_path("a")
+        df = spark.read.format("ndarray").options(path=str(tmp_path / "s"), node=1, pieces=5).load().where("i0 > 5 AND i0 <= 22 AND i1 < 5")
+        assert df.rdd.getNumPartitions() == 5 and sorted(df.collect()) == sorted(node.read(DataType.DOUBLE_ARRAY, [(6, 23), (0, 5)]).collect())
         df = spark.read.format("ndarray").options(dims="100,8", chunk_dims="10,8").load()
         some = df.where("i0 >= 15 AND i0 < 32")
         assert some.rdd.getNumPartitions() == 3 and some.count() == 17 * 8
