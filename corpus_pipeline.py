@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ndspark.llm import langid, line_dedup, mixing, packing, simhash
-from ndspark.llm.common import documents, shared_folder
+from ndspark.llm.common import documents, drop_folder, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents; each but the last is written to the shared folder and read again, and a table goes when the next one stands."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(folder := shared_folder(spark, name))
         docs = spark.read.parquet(folder)
+        if last:
+            drop_folder(spark, last)
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
