@@ -87,12 +87,19 @@ def slice_3d(spark, sf_dir):
     return embeddings(spark, sf_dir, (10, 20), (2, 5), (1, 7), shape=(8, 8))
 
 
+#: Stores that chunk_store wrote, by application and folder of tables.
+STORES: dict[tuple[str, str], str] = {}
+
+
 def chunk_store(spark: SparkSession, sf_dir: str):
-    """The embeddings written as a store with chunks of 64 x 16, opened again."""
+    """The embeddings written as a store with chunks of 64 x 16, once an application, opened again."""
+    if (app := (spark.sparkContext.applicationId, sf_dir)) in STORES:
+        return open_store(spark, STORES[app]).find_by_path("/embedding")
     n, path = rows_of(spark, sf_dir), scratch(spark, "store")
     root = (0, None, 0, "root", 0, 4, 1.0, 0.0, [], [], None)
     array = (1, 0, 0, "embedding", int(DataType.FLOAT_ARRAY), 4, 1.0, 0.0, [n, 64], [64, 16], None)
     write_store(spark.createDataFrame([root, array], catalog.NODES), {1: embeddings(spark, sf_dir)}, path)
+    STORES[app] = path
     return open_store(spark, path).find_by_path("/embedding")
 
 
