@@ -36,6 +36,11 @@ def test_stages(spark, stages):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 1), (2, "12 34", None, "a", 1), (3, None, None, "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, SF).collect()] == [(1, None)]
+
+
 def lines_by_hand(docs: dict[int, str]) -> dict[int, str]:
     keys = lambda text: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in text.split("\n")]
     holders = collections.defaultdict(set)
