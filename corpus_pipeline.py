@@ -12,8 +12,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; lang becomes that language. Text that is null, has no letter, or no known n-gram goes."""
-    found = langid.detect(docs, langid.train(docs))
+    """Documents in which some language is found; lang becomes that language. Text that is null, has no letter, or no known n-gram goes.
+
+    Without a single labelled row no language can be told: texts with a letter stay, and lang as it is.
+    """
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = langid.detect(docs, model)
     return found.where("_lang <> 'und' AND _score > 0").withColumn("lang", F.col("_lang")).select(*COLUMNS)
 
 
