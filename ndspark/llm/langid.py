@@ -74,15 +74,19 @@ class Filters:
         part = np.concatenate(counts)[: len(self.languages)] / max(1, len(h))
         return np.clip((part - self.false) / (1 - self.false), 0, 1)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score; `und`, 0 if text is null or has no letter. Ties: the first in order."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the part of the text's grams that the language holds; `und`, 0, 0 if text is null or has no letter. Ties: the first in order."""
         h = grams(text) if text else None
         if h is None or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         part = self.shares(h)
         best = int(part.argmax())
         second = np.delete(part, best).max(initial=0.0)
-        return self.languages[best], float(part[best] / (part[best] + second)) if part[best] else 0.0
+        return self.languages[best], float(part[best] / (part[best] + second)) if part[best] else 0.0, float(part[best])
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score."""
+        return self.judge(text)[:2]
 
 
 #: Bits of each byte value.
@@ -124,18 +128,19 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def detect(df: DataFrame, model: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df with _lang and _score. One row each row; null text or text without a letter is `und`, score 0."""
+    """All columns of df with _lang, _score and _share (see Filters.judge). One row each row; null text or text without a letter is `und`, score 0, share 0."""
     held = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by train's parameters
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            found = [held.value.predict(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, "_lang", "_score"])
+            found = [held.value.judge(x.as_py()) for x in batch.column(at)]
+            new = [pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_lang", "_score", "_share"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*df.schema.fields]).add("_lang", StringType()).add("_score", DoubleType())
+    schema = StructType([*df.schema.fields]).add("_lang", StringType()).add("_score", DoubleType()).add("_share", DoubleType())
     return df.mapInArrow(run, schema)
 
 
