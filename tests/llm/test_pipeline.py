@@ -41,6 +41,17 @@ def test_language_stage_without_labels(spark):
     assert [(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, SF).collect()] == [(1, None)]
 
 
+def test_language_stage_rejects_gibberish(spark):
+    """Random letters and an alphabet that no labelled document has go; short and long texts of a learned language stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = random.Random(3)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=n)) for n in (200, 2000, 50_000)]
+    more = [(10**6 + i, t, None, "a", len(t)) for i, t in enumerate([*noise, "это русский текст", "The and that it of the."])]
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(more, docs.schema)), SF).select("doc_id").collect()}
+    known = {r.doc_id for r in docs.where("text RLIKE '\\\\p{L}'").collect()}
+    assert got == known | {10**6 + 4}
+
+
 def lines_by_hand(docs: dict[int, str]) -> dict[int, str]:
     keys = lambda text: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in text.split("\n")]
     holders = collections.defaultdict(set)
